@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ship_package
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The characters U+0020 and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -17,8 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of at most ``rows`` rows and 16 MB, so that a Python worker holds little text."""
+def python_ready(spark: SparkSession, rows: int = 500) -> None:
+    """Workers can import this package; Arrow batches have at most ``rows`` rows and 16 MB, so that a worker holds little text."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
