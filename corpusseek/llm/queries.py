@@ -12,7 +12,9 @@ from .common import UPPER, table
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .packing import pack
+from .secret_scan import scan_secrets
 from .sharding import SHARDS, TABLE_SIZE, assign_shards, fill_table
+from .toxicity import remainder, score_toxicity, train
 from .url_filter import Rule, url_filter
 
 URL_RULES = [Rule("net/", "block"), Rule("example.net/en/", "allow"), Rule("example.com/de/", "block"), Rule("org/fr/", "allow")]
@@ -40,6 +42,16 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (remainder(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -50,7 +62,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_exact_dedup, op2_packing, op3_sharding, op4_bpe, op9_url_filter, op10_line_dedup]
+    own = [op1_exact_dedup, op2_packing, op3_sharding, op4_bpe, op5_secret_scan, op6_toxicity, op9_url_filter, op10_line_dedup]
     return {f.__name__: f for f in own}
 
 
