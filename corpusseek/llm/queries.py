@@ -11,6 +11,7 @@ from .bpe import round_trip
 from .common import UPPER, table
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
+from .minhash import near_duplicates
 from .packing import pack
 from .secret_scan import scan_secrets
 from .sharding import SHARDS, TABLE_SIZE, assign_shards, fill_table
@@ -52,6 +53,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -62,7 +67,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_exact_dedup, op2_packing, op3_sharding, op4_bpe, op5_secret_scan, op6_toxicity, op9_url_filter, op10_line_dedup]
+    own = [op1_exact_dedup, op2_packing, op3_sharding, op4_bpe, op5_secret_scan, op6_toxicity, op8_minhash, op9_url_filter, op10_line_dedup]
     return {f.__name__: f for f in own}
 
 
