@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest_neighbours
 from .bpe import round_trip
 from .common import UPPER, table
 from .exact_dedup import exact_dedup
@@ -53,6 +54,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -67,7 +72,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_exact_dedup, op2_packing, op3_sharding, op4_bpe, op5_secret_scan, op6_toxicity, op8_minhash, op9_url_filter, op10_line_dedup]
+    own = [op1_exact_dedup, op2_packing, op3_sharding, op4_bpe, op5_secret_scan, op6_toxicity, op7_ann, op8_minhash, op9_url_filter, op10_line_dedup]
     return {f.__name__: f for f in own}
 
 
