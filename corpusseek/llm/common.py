@@ -66,3 +66,14 @@ def ascii_lower(c: Column) -> Column:
 
 def text_or_empty(c: str | Column) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+
+
+#: Up to so many ids (8 bytes each) are broadcast; more are shuffled, evenly, as each is there once.
+BROADCAST_IDS = 200_000
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` without the rows whose id is in ``dropped`` (column ``id``); rows with a null id stay."""
+    dropped = write_shared(dropped.select(F.col("id").alias("__id")), "dropped")
+    small = dropped.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(dropped) if small else dropped, F.col(id_col) == F.col("__id"), "left_anti")

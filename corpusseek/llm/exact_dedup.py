@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, text_or_empty, write_shared
+from .common import ascii_lower, text_or_empty, without, write_shared
 
 CAPACITY = 50_000
 MAX_DEPTH = 24
@@ -110,3 +110,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = docs.select(F.col(id_col).alias("id"), norm.alias("norm")).select("id", F.xxhash64("norm").alias("h"), F.sha2("norm", 256).alias("text_sha256"))
     found = with_bucket(keys, buckets).join(index, ["bucket", "h", "text_sha256"])
     return found.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "bucket", "chain")
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+    """``docs`` with one row of each group of equal texts, that with the largest id.
+
+    Where ids are null or repeat, they don't tell rows apart; then rows are matched by their text, and of rows repeated with
+    the id that stays one is kept.
+    """
+    vague = docs.groupBy(id_col).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(id_col).isNull())
+    if not vague.limit(1).count():
+        judged = exact_dedup(docs, id_col, text_col, capacity)
+        return without(docs, judged.where(~F.col("kept")).select(F.col(id_col).alias("id")), id_col)
+    index, _ = build_index(docs, id_col, text_col, capacity)
+    norm = ascii_lower(text_or_empty(text_col))
+    keyed = docs.withColumns({"__h": F.xxhash64(norm), "__sha": F.sha2(norm, 256)})
+    found = keyed.join(index.select(F.col("h").alias("__h"), F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep")), ["__h", "__sha"])
+    return found.where(F.col(id_col).eqNullSafe(F.col("__keep"))).dropDuplicates(["__h", "__sha"]).select(docs.columns)

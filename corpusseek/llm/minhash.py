@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import python_ready, write_shared
+from .common import BROADCAST_IDS, python_ready, without, write_shared
 from .components import components
 from .textops import NOT_BLANK, mix, words_by_text
 
@@ -32,8 +32,6 @@ BANDS = 50
 MISS = 1e-6
 #: How many more centres a bucket gets each round.
 GROWTH = 8
-#: Up to so many ids are broadcast to pick their texts; more are shuffled.
-BROADCAST_IDS = 200_000
 
 _U = np.uint64
 
@@ -219,3 +217,10 @@ def unresolved(members: DataFrame, labels: DataFrame) -> bool:
     named = members.join(labels, "node", "left").select("key", F.coalesce("component", "node").alias("c"))
     mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
     return bool(mixed.limit(1).count())
+
+
+def drop_near_copies(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates, that with the least id. Rows with a null id stay, and so do
+    all rows of an id that stays."""
+    judged = near_duplicates(docs, percent, words, id_col, text_col)
+    return without(docs, judged.where(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct(), id_col)
