@@ -6,9 +6,11 @@
    hashes of its own number and the attempt, until one that isn't empty comes up.
 3. Classes that agree in all rows of a band share a bucket. In each bucket, the least class is the centre of a star; only
    its edges are candidates, and each is confirmed on the full sets.
-4. No link is lost to that: a bucket whose classes aren't all in one component then gets further centres, eight times as many
-   each round, drawn by hash, with edges to the classes of other components only, until every class was a centre or one
-   component is left. Groups of copies join in the first round, so that the pairs in them are never listed.
+4. No link is lost to that: classes joined by candidate edges are a cluster. Where confirmed links leave a cluster in several
+   components, its members are compared with the cluster's least class, the pivot, by the symmetric difference D of the sets.
+   Two sets are as similar as asked just when their D differ in few elements, so only members of different components go on
+   that share an element among the rarest of their D and could still be close enough from its position on (a prefix filter).
+   Near-copies differ from their pivot in elements of their own, so that even a large group gives few pairs.
 5. Components come from stars over the confirmed links.
 """
 
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_IDS, python_ready, without, write_shared
@@ -30,8 +32,6 @@ WORDS = 5
 BANDS = 50
 #: The chance that a pair right at the threshold shares no bucket is this at most.
 MISS = 1e-6
-#: How many more centres a bucket gets each round.
-GROWTH = 8
 
 _U = np.uint64
 
@@ -58,8 +58,7 @@ def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
             if n >= words:
                 out.append(np.unique(rolled[start : end - words + 1]))
             elif n:
-                few = mix((h[start:end] * weights[:n]).sum(dtype="u8") + mix(np.full(1, n, "u8"))[0])
-                out.append(np.array([few], "u8"))
+                out.append(mix((h[start:end] * weights[:n]).sum(dtype="u8", keepdims=True) + mix(np.full(1, n, "u8"))))
             else:
                 out.append(np.empty(0, "u8"))
             start = end
@@ -142,21 +141,88 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> Dat
     return pairs.join(second, "b").join(first, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def candidate_pairs(members: DataFrame, share: float | None, percent: int) -> DataFrame:
-    """Star edges in every bucket of ``members`` (key, node, n, component) that holds more than one component.
+def star_edges(rows: DataFrame) -> DataFrame:
+    """(a, b) from the least node of each bucket to its others. ``rows`` has key, node and n. Edges between sets whose sizes
+    alone rule a link out stay, as they hold clusters together."""
+    least = rows.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("key", "a")
+    return rows.join(least, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
 
-    ``share`` None makes the least node the centre; else each node is one with chance ``share`` / size of its bucket. Edges
-    between sets whose sizes alone rule a link out are left out.
+
+def differences(members: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
+    """(cluster, node, label, n, d, linked, elements): each member's difference from its pivot, the node ``cluster``, its size,
+    and whether the two are linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int | None, np.ndarray] = (None, np.empty(0, "u8"))
+        for batch in batches:
+            pivot = batch.column("cluster").to_pylist()
+            tp, tn = batch.column("tp").cast(pa.binary()), batch.column("tn").cast(pa.binary())
+            n, d, linked, found = [], [], [], []
+            for i, p in enumerate(pivot):
+                if last[0] != p:
+                    last = (p, shingle_sets([tp[i].as_py()], words)[0])
+                own = shingle_sets([tn[i].as_py()], words)[0]
+                diff = np.setxor1d(last[1], own, assume_unique=True)
+                n.append(len(own))
+                d.append(len(diff))
+                linked.append((100 + percent) * len(diff) <= (100 - percent) * (len(own) + len(last[1])))
+                found.append(diff.view("i8"))
+            ends = np.cumsum([0, *d]).astype("i4")
+            elements = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.empty(0, "i8")))
+            cols = [batch.column("cluster"), batch.column("node"), batch.column("label"), pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array(linked, pa.bool_()), elements]
+            yield pa.RecordBatch.from_arrays(cols, ["cluster", "node", "label", "n", "d", "linked", "elements"])
+
+    whole = members.join(texts.withColumnRenamed("text", "tn"), "node").join(texts.select(F.col("node").alias("cluster"), F.col("text").alias("tp")), "cluster")
+    return whole.select("cluster", "node", "label", "tp", "tn").mapInArrow(run, "cluster long, node long, label long, n long, d long, linked boolean, elements array<long>")
+
+
+def close_pairs(diffs: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a cluster's members in different components whose differences may be close enough.
+
+    Sets of sizes n and m are linked just when they differ in (100 - percent) / (100 + percent) * (n + m) elements at most, and
+    so do their D. Of two such D that share an element at all (else both are linked to the pivot), the first shared one in
+    order of rarity is among so many of either, and enough elements are left from its position on.
     """
-    size = members.groupBy("key").agg(F.min("node").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"))
-    size = size.where("lo <> hi")
-    if share is None:
-        stars = size.select("key", "c").join(members.select("key", F.col("node").alias("c"), F.col("n").alias("cn"), F.col("component").alias("cc")), ["key", "c"])
-    else:
-        drawn = members.join(size.select("key", "size"), "key").where(F.pmod(F.xxhash64("key", "node"), F.lit(1 << 30)) < F.lit(share * (1 << 30)) / F.col("size"))
-        stars = drawn.select("key", F.col("node").alias("c"), F.col("n").alias("cn"), F.col("component").alias("cc"))
-    edges = members.join(stars, "key").where("component <> cc AND 100 * least(n, cn) >= %d * greatest(n, cn)" % percent)
-    return edges.select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b")).distinct()
+    most = lambda x: f"((100 - {percent}) * ({x}) div (100 + {percent}))"
+    each = diffs.select("cluster", "node", "n", "d", F.explode("elements").alias("e"))
+    common = each.groupBy("cluster", "e").agg(F.count("*").alias("df")).where("df > 1")
+    shared = each.join(common, ["cluster", "e"])
+    own = Window.partitionBy("cluster", "node")
+    # Elements that no other member has come first, whatever they are.
+    placed = shared.withColumn("pos", F.col("d") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "e")) - 1)
+    prefix = placed.where(f"pos <= {most(f'n + n * 100 div {percent}')}").join(labels, "node").select("cluster", "e", "node", "component", "n", "d", "pos")
+    x = prefix.toDF("cluster", "e", "a", "ca", "na", "da", "pa")
+    y = prefix.toDF("cluster", "e", "b", "cb", "nb", "db", "pb")
+    limit = most("na + nb")
+    near = x.join(y, ["cluster", "e"]).where(f"a < b AND ca <> cb AND 100 * least(na, nb) >= {percent} * greatest(na, nb) AND abs(da - db) <= {limit} AND da + db - 2 * least(da - pa, db - pb) <= {limit}")
+    return near.select("a", "b").distinct()
+
+
+def all_links(rows: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame | None:
+    """Confirmed links that connect all linked nodes of the buckets; None where there is no candidate."""
+    edges = write_shared(star_edges(rows), "near-stars")
+    if not edges.limit(1).count():
+        return None
+    clusters = components(edges).withColumnRenamed("component", "cluster")
+    sizes = rows.select("node", "n").distinct()
+    links = write_shared(confirm(fitting(edges, sizes, percent), texts, percent, words), "near-links")
+    labels = components(links)
+    named = write_shared(clusters.join(labels, "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("label")), "near-labels")
+    mixed = named.groupBy("cluster").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("cluster")
+    diffs = write_shared(differences(named.join(mixed, "cluster"), texts, percent, words), "near-differences")
+    if not diffs.limit(1).count():
+        return links
+    links = links.union(diffs.where("linked AND node <> cluster").select(F.col("cluster").alias("a"), F.col("node").alias("b")))
+    labels = components(links)
+    known = diffs.select("node").join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    pairs = write_shared(close_pairs(diffs, known, percent), "near-pairs")
+    return links.union(write_shared(confirm(pairs, texts, percent, words), "near-links"))
+
+
+def fitting(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose sizes alone don't rule a link out."""
+    both = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
+    return both.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,36 +241,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, id_c
     classes = drawn.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("node"), F.min_by("keys", "id").alias("keys"), F.max("n").alias("n"))
     classes = write_shared(classes.where("node IS NOT NULL"), "near-classes")
     rows = classes.select(F.explode("keys").alias("key"), "node", "n")
-    shared = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
-    members = write_shared(rows.join(shared, "key"), "near-members")
+    many = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
+    members = write_shared(rows.join(many, "key"), "near-members")
     nodes = members.select("node").distinct()
     small = nodes.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     whole = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(text_col, F.lit("")).alias("text"))
     texts = write_shared(whole.join(F.broadcast(nodes) if small else nodes, "node", "left_semi"), "near-texts")
-
-    links: DataFrame | None = None
-    tried: DataFrame | None = None
-    labels: DataFrame | None = None
-    share: float | None = None
-    largest = members.groupBy("key").count().agg(F.max("count")).first()[0] or 0
-    while largest:
-        now = members.withColumn("component", F.col("node"))
-        if labels is not None:
-            now = members.join(labels.withColumnRenamed("component", "label"), "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("component"))
-        pairs = candidate_pairs(now, share, percent)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = write_shared(pairs, "near-pairs")
-        found = write_shared(confirm(pairs, texts, percent, words), "near-links")
-        tried = pairs if tried is None else tried.union(pairs)
-        if links is None or found.limit(1).count():
-            links = found if links is None else links.union(found)
-            labels = write_shared(components(links), "near-labels")
-        if share is not None and share >= largest:
-            break
-        share = GROWTH if share is None else share * GROWTH
-        if not unresolved(members, labels):
-            break
+    links = all_links(members, texts, percent, words)
+    labels = components(links) if links is not None else None
     out = drawn.select("id", "n", "f1", "f2").join(classes.select("f1", "f2", "node"), ["f1", "f2"], "left")
     if labels is not None:
         out = out.join(labels.withColumnRenamed("component", "label"), "node", "left").withColumn("node", F.coalesce("label", "node"))
@@ -212,13 +256,6 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, id_c
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def unresolved(members: DataFrame, labels: DataFrame) -> bool:
-    """Whether a bucket holds more than one component."""
-    named = members.join(labels, "node", "left").select("key", F.coalesce("component", "node").alias("c"))
-    mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
-    return bool(mixed.limit(1).count())
-
-
 def drop_near_copies(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, that with the least id. Rows with a null id stay, and so do
     all rows of an id that stays."""
