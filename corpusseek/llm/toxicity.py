@@ -28,7 +28,7 @@ RANK = 4
 #: Lengths in bytes of the stems that are terms beside the whole words.
 PREFIXES = (4, 6)
 #: The bound of the training sample, in labelled rows.
-TRAIN_DOCS = 30_000
+TRAIN_DOCS = 15_000
 #: Terms in fewer documents of the sample get no weight, nor do those whose count among toxic ones is within so many
 #: standard deviations of what chance gives.
 MIN_DOCS = 3
