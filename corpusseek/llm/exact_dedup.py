@@ -20,6 +20,8 @@ from .common import ascii_lower, text_or_empty, without, write_shared
 
 CAPACITY = 50_000
 MAX_DEPTH = 24
+#: Up to this depth the directory is a constant in the plan (at most 65,536 ints); beyond, it is a table to join with.
+INLINE_DEPTH = 16
 
 
 def slot_of(h: str | Column, depth: int) -> Column:
@@ -71,12 +73,12 @@ def with_bucket(df: DataFrame, buckets: list[tuple[int, int]]) -> DataFrame:
     depth = directory_depth(buckets)
     if depth == 0:
         return df.withColumn("bucket", F.lit(0))
-    if depth <= 16:  # at most 65,536 ints in the plan
+    if depth <= INLINE_DEPTH:
         slots = [i for i, (_, d) in enumerate(buckets) for _ in range(1 << (depth - d))]
         directory = F.array(*[F.lit(i) for i in slots]) if depth <= 6 else F.from_json(F.lit(str(slots)), "array<int>")
         return df.withColumn("bucket", F.element_at(directory, slot_of("h", depth).cast("int") + 1))
-    rows = [(i, (p << (depth - d)) + j) for i, (p, d) in enumerate(buckets) for j in range(1 << (depth - d))]
-    directory = df.sparkSession.createDataFrame(rows, "bucket int, slot long")
+    rows = [(i, p << (depth - d), ((p + 1) << (depth - d)) - 1) for i, (p, d) in enumerate(buckets)]
+    directory = df.sparkSession.createDataFrame(rows, "bucket int, first long, last long").select("bucket", F.explode(F.sequence("first", "last")).alias("slot"))
     return df.withColumn("slot", slot_of("h", depth)).join(directory, "slot").drop("slot")
 
 

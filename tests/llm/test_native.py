@@ -42,8 +42,9 @@ def brute_exact(rows):
     return Counter(out)
 
 
-@pytest.mark.parametrize("capacity", [2, 1000])
-def test_exact_dedup(spark, capacity):
+@pytest.mark.parametrize(("capacity", "inline"), [(2, 16), (2, 1), (1000, 16)])
+def test_exact_dedup(spark, monkeypatch, capacity, inline):
+    monkeypatch.setattr(ed, "INLINE_DEPTH", inline)
     rng = random.Random(capacity)
     rows = [(i, rng.choice(TEXTS)) for i in range(60)] + [(100 + i, f"unique {i}") for i in range(40)]
     rows += [(None, "abc"), (None, None), (None, "only null"), (5, "abc"), (5, "abc"), (7, "unique 3")]
