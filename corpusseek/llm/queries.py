@@ -94,6 +94,17 @@ def oracle_sql() -> dict[str, str]:
             WITH s AS (SELECT doc_id, CAST(CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) % {TABLE_SIZE} AS INTEGER) AS slot FROM documents),
                  t AS (SELECT '{slots}' AS hex)
             SELECT doc_id, slot, CAST('0x' || substr(hex, slot * 2 + 1, 2) AS INTEGER) AS shard FROM s, t""",
+        "op8_minhash": f"""
+            WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array({_lower("coalesce(text, '')")}, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
+                 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                                           WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+                 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+                 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+                 e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * k >= 85 * (nx.n + ny.n - k)),
+                 l AS (SELECT x AS a, y AS b FROM e UNION ALL SELECT y, x FROM e),
+                 r AS (SELECT doc_id, doc_id AS reach FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.reach = l.a)
+            SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reach) AS component_id, r.doc_id = min(reach) AS kept
+            FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id""",
         "op9_url_filter": f"""
             WITH rules(rule, verdict, h, p) AS (VALUES {url_rules}),
                  u AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
