@@ -37,12 +37,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def write_shared(df: DataFrame, label: str) -> DataFrame:
+#: Rows of a file, at about, where a table's size is known beforehand.
+ROWS_PER_FILE = 250_000
+
+
+def write_shared(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Writes ``df`` to the shared folder and returns a reader of it, which cuts the lineage.
 
-    Files survive the loss of any executor; nothing is kept in executor memory.
+    Files survive the loss of any executor; nothing is kept in executor memory. ``rows``, a bound of the table's rows, keeps a
+    small table from being written in many tiny files.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(8, rows // ROWS_PER_FILE))
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -145,6 +145,7 @@ def star_edges(rows: DataFrame) -> DataFrame:
     """(a, b) from the least node of each bucket to its others. ``rows`` has key, node and n. Edges between sets whose sizes
     alone rule a link out stay, as they hold clusters together."""
     least = rows.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("key", "a")
+    least = write_shared(least, "near-centres")  # so that Spark can split the join for a hot bucket
     return rows.join(least, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
 
 
@@ -198,25 +199,40 @@ def close_pairs(diffs: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return near.select("a", "b").distinct()
 
 
-def all_links(rows: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame | None:
-    """Confirmed links that connect all linked nodes of the buckets; None where there is no candidate."""
+def merged(named: DataFrame, edges: DataFrame) -> DataFrame:
+    """``named`` (node, label, ...) after joining the labels at the ends of ``edges`` (a, b); as many as those are few."""
+    up = components(edges).toDF("label", "up")
+    return named.join(up, "label", "left").withColumn("label", F.coalesce("up", "label")).drop("up").select(named.columns)
+
+
+def label_edges(links: DataFrame, named: DataFrame) -> DataFrame:
+    """Links between nodes as edges between their labels."""
+    labels = named.select("node", "label")
+    both = links.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b")
+    return both.where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+
+
+def labelled(rows: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame | None:
+    """(node, cluster, label) of the nodes that share a bucket: the label is the least node reachable by links. None where no two
+    nodes share one."""
     edges = write_shared(star_edges(rows), "near-stars")
     if not edges.limit(1).count():
         return None
     clusters = components(edges).withColumnRenamed("component", "cluster")
     sizes = rows.select("node", "n").distinct()
     links = write_shared(confirm(fitting(edges, sizes, percent), texts, percent, words), "near-links")
-    labels = components(links)
-    named = write_shared(clusters.join(labels, "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("label")), "near-labels")
+    found = clusters.join(components(links), "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("label"))
+    named = write_shared(found, "near-labels")
     mixed = named.groupBy("cluster").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("cluster")
     diffs = write_shared(differences(named.join(mixed, "cluster"), texts, percent, words), "near-differences")
     if not diffs.limit(1).count():
-        return links
-    links = links.union(diffs.where("linked AND node <> cluster").select(F.col("cluster").alias("a"), F.col("node").alias("b")))
-    labels = components(links)
-    known = diffs.select("node").join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        return named
+    pivots = diffs.where("linked AND node <> cluster").select(F.col("cluster").alias("a"), F.col("node").alias("b"))
+    named = write_shared(merged(named, label_edges(pivots, named)), "near-labels")
+    known = diffs.select("node").join(named, "node").select("node", F.col("label").alias("component"))
     pairs = write_shared(close_pairs(diffs, known, percent), "near-pairs")
-    return links.union(write_shared(confirm(pairs, texts, percent, words), "near-links"))
+    more = write_shared(confirm(pairs, texts, percent, words), "near-links")
+    return merged(named, label_edges(more, named)) if more.limit(1).count() else named
 
 
 def fitting(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -241,17 +257,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, id_c
     classes = drawn.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("node"), F.min_by("keys", "id").alias("keys"), F.max("n").alias("n"))
     classes = write_shared(classes.where("node IS NOT NULL"), "near-classes")
     rows = classes.select(F.explode("keys").alias("key"), "node", "n")
-    many = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
+    many = write_shared(rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key"), "near-buckets")
     members = write_shared(rows.join(many, "key"), "near-members")
     nodes = members.select("node").distinct()
     small = nodes.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     whole = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(text_col, F.lit("")).alias("text"))
     texts = write_shared(whole.join(F.broadcast(nodes) if small else nodes, "node", "left_semi"), "near-texts")
-    links = all_links(members, texts, percent, words)
-    labels = components(links) if links is not None else None
+    labels = labelled(members, texts, percent, words)
     out = drawn.select("id", "n", "f1", "f2").join(classes.select("f1", "f2", "node"), ["f1", "f2"], "left")
     if labels is not None:
-        out = out.join(labels.withColumnRenamed("component", "label"), "node", "left").withColumn("node", F.coalesce("label", "node"))
+        out = out.join(labels.select("node", "label"), "node", "left").withColumn("node", F.coalesce("label", "node"))
     component = F.coalesce("node", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
