@@ -7,7 +7,9 @@ URLs are not shuffled: the only shuffle is that of the token counts, at most one
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -66,25 +68,16 @@ def rarest_tokens(tokens: DataFrame, rules: list[Rule]) -> dict[Rule, str]:
     return {r: min(r.tokens, key=lambda t: (counts.get(t, 0), t)) for r in rules if r.tokens}
 
 
-def _sql_text(s: str) -> str:
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
+def bucket_of(token: str, buckets: int) -> int:
+    return zlib.crc32(token.encode()) % buckets
 
-def index_column(by_token: dict[Rule, str], buckets: int) -> tuple[Column, dict[int, list[Rule]]]:
-    """An array of buckets, each an array of (token, text, verdict, pattern)."""
-    import json
 
-    spark_hash: dict[int, list[Rule]] = {}
+def index_column(by_token: dict[Rule, str], buckets: int) -> Column:
+    """An array of buckets, each an array of (token, text, verdict, pattern): a constant of the plan."""
+    rows: list[list[dict[str, str]]] = [[] for _ in range(buckets)]
     for r, t in by_token.items():
-        spark_hash.setdefault(_bucket(t, buckets), []).append(r)
-    rows = [[{"token": by_token[r], "text": r.text, "verdict": r.verdict, "pattern": r.pattern} for r in spark_hash.get(i, [])] for i in range(buckets)]
-    return F.from_json(F.lit(json.dumps(rows)), "array<array<struct<token:string,text:string,verdict:string,pattern:string>>>"), spark_hash
-
-
-def _bucket(token: str, buckets: int) -> int:
-    import zlib
-
-    return zlib.crc32(token.encode()) % buckets
+        rows[bucket_of(t, buckets)].append({"token": t, "text": r.text, "verdict": r.verdict, "pattern": r.pattern})
+    return F.from_json(F.lit(json.dumps(rows)), "array<array<struct<token:string,text:string,verdict:string,pattern:string>>>")
 
 
 def url_filter(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
@@ -112,10 +105,10 @@ def url_filter(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url
     for i in range(0, len(filed), RULES_PER_INDEX):
         part = dict(filed[i : i + RULES_PER_INDEX])
         buckets = max(1, 2 * len(part))
-        index, _ = index_column(part, buckets)
+        index = index_column(part, buckets)
         fetched = F.flatten(F.transform("tokens", lambda t: F.filter(F.element_at(index, F.pmod(F.crc32(t.cast("binary")), F.lit(buckets)).cast("int") + 1), lambda r: r["token"] == t)))
         best = F.greatest(best, top(fetched))
     if bare:
-        best = F.greatest(best, top(index_column({r: "" for r in bare}, 1)[0][0]))
+        best = F.greatest(best, top(index_column({r: "" for r in bare}, 1)[0]))
     judged = tokens.select("*", best.alias("best"))
     return judged.select(F.col("id").alias(id_col), "host", "path", F.col("best.text").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
