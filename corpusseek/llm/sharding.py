@@ -55,11 +55,8 @@ def assign_shards(df: DataFrame, key: str = "doc_id", shards: tuple[str, ...] |
 
     Rows with equal keys go to one shard; null keys count as empty text. No row is moved.
     """
-    lookup = "".join(f"{i:04x}" for i in fill_table(shards, size))
-    if len(shards) > 0xFFFF:
-        raise ValueError("at most 65,535 shards")
-    slot = df.withColumn("slot", key_slot(F.col(key), size))
-    return slot.withColumn("shard", F.conv(F.substring(F.lit(lookup), F.col("slot") * 4 + 1, F.lit(4)), 16, 10).cast("int"))
+    lookup = F.from_json(F.lit(str(fill_table(shards, size))), "array<int>")
+    return df.withColumn("slot", key_slot(F.col(key), size)).withColumn("shard", F.element_at(lookup, F.col("slot") + 1))
 
 
 def write_shards(df: DataFrame, path: str, key: str = "doc_id", shards: tuple[str, ...] | list[str] = SHARDS, size: int = TABLE_SIZE, files: int = 8) -> None:
