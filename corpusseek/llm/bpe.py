@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,8 +21,8 @@ from .common import python_ready
 
 #: Fixed value: the byte-level pattern of this vocabulary's family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words whose ids are remembered; then the memory is emptied, so that it stays bounded.
-MEMO_WORDS = 300_000
+#: Words whose ids a worker remembers (about 200 MB); then the memory is emptied.
+MEMO_WORDS = 1_000_000
 #: Longer words aren't remembered.
 MEMO_BYTES = 64
 NONE = 1 << 62
@@ -46,8 +47,12 @@ class Bpe:
         back = {c: b for b, c in enumerate(chars)}
         self.first = [vocab[c] for c in chars]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
-        # (left id, right id) -> (rank, merged id); a key of one int hashes faster than a tuple
-        self.merges = {vocab[a] << 32 | vocab[b]: (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        # (left id, right id) -> rank, and rank -> merged id; a key of one int hashes faster than a tuple
+        self.ranks: dict[int, int] = {}
+        self.merged: list[int] = []
+        for rank, (a, b) in enumerate(pairs):
+            self.ranks[vocab[a] << 32 | vocab[b]] = rank
+            self.merged.append(vocab[a + b])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of: list[bytes] = [b""] * (1 + max([*vocab.values(), *self.special.values()]))
         for token, i in vocab.items():
@@ -60,60 +65,52 @@ class Bpe:
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word."""
-        ids = [self.first[b] for b in word]
+        first = self.first
+        ids = [first[b] for b in word]
         n = len(ids) - 1  # leaves: the pair that starts at each place but the last
         if n < 1:
             return ids
-        get = self.merges.get
+        get, merged = self.ranks.get, self.merged
         shift = n.bit_length()
         mask = (1 << shift) - 1
-        tree = [NONE] * (2 * n)  # a leaf is rank and place in one int, so min() takes the leftmost of the lowest
+        # A leaf is rank and place in one int, so the lesser of two is the lower rank, the left one of equal ranks.
+        tree = [NONE] * (2 * n)
         for i in range(n):
-            m = get(ids[i] << 32 | ids[i + 1])
-            if m:
-                tree[n + i] = m[0] << shift | i
+            if (rank := get(ids[i] << 32 | ids[i + 1])) is not None:
+                tree[n + i] = rank << shift | i
         for i in range(n - 1, 0, -1):
             a, b = tree[2 * i], tree[2 * i + 1]
             tree[i] = a if a < b else b
         after = list(range(1, n + 2))
         before = list(range(-1, n))
-
-        def put(leaf: int, value: int) -> None:
-            i = n + leaf
-            if tree[i] == value:
-                return
-            tree[i] = value
-            while i > 1:
-                i >>= 1
-                a, b = tree[2 * i], tree[2 * i + 1]
-                a = a if a < b else b
-                if tree[i] == a:
-                    return
-                tree[i] = a
-
-        while tree[1] != NONE:
-            i = tree[1] & mask
+        while (root := tree[1]) != NONE:
+            i = root & mask
             j = after[i]
-            ids[i] = get(ids[i] << 32 | ids[j])[1]
-            ids[j] = -1
             k = after[i] = after[j]
-            if j < n:
-                put(j, NONE)
+            ids[i] = merged[root >> shift]
+            ids[j] = -1
+            changed = [(i, NONE)] if j >= n else [(j, NONE), (i, NONE)]
             if k <= n:
                 before[k] = i
-                m = get(ids[i] << 32 | ids[k])
-                put(i, m[0] << shift | i if m else NONE)
-            else:
-                put(i, NONE)
-            h = before[i]
-            if h >= 0:
-                m = get(ids[h] << 32 | ids[i])
-                put(h, m[0] << shift | h if m else NONE)
+                if (rank := get(ids[i] << 32 | ids[k])) is not None:
+                    changed[-1] = (i, rank << shift | i)
+            if (h := before[i]) >= 0:
+                rank = get(ids[h] << 32 | ids[i])
+                changed.append((h, NONE if rank is None else rank << shift | h))
+            for leaf, value in changed:
+                p = n + leaf
+                while p and tree[p] != value:
+                    tree[p] = value
+                    p >>= 1
+                    if p:
+                        a, b = tree[2 * p], tree[2 * p + 1]
+                        value = a if a < b else b
         return [i for i in ids if i >= 0]
 
     def _pack(self, word: str) -> bytes:
         raw = word.encode()
-        out = np.array(self.merge(raw), "<u4").tobytes()
+        ids = self.merge(raw)
+        out = struct.pack(f"<{len(ids)}I", *ids)
         if len(raw) <= MEMO_BYTES:
             if len(self.memo) >= MEMO_WORDS:
                 self.memo.clear()
@@ -121,16 +118,12 @@ class Bpe:
         return out
 
     def _pieces(self, text: str) -> Iterator[bytes]:
+        known, pack = self.memo.get, self._pack
         for i, part in enumerate(self.cut.split(text)) if self.cut and self.cut.search(text) else [(0, text)]:
             if i % 2:
-                yield np.array([self.special[part]], "<u4").tobytes()
-                continue
-            words = self.words.findall(part)
-            memo = self.memo
-            try:
-                yield b"".join([memo[w] for w in words])
-            except KeyError:
-                yield b"".join([memo[w] if w in memo else self._pack(w) for w in words])
+                yield struct.pack("<I", self.special[part])
+            else:
+                yield b"".join([known(w) or pack(w) for w in self.words.findall(part)])
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text, as little-endian unsigned 32-bit integers."""
