@@ -29,9 +29,11 @@ RANK = 4
 PREFIXES = (4, 6)
 #: The bound of the training sample, in labelled rows.
 TRAIN_DOCS = 15_000
-#: Terms in fewer documents of the sample get no weight, nor do those whose count among toxic ones is within so many
-#: standard deviations of what chance gives.
+#: Terms in fewer documents of the sample get no weight.
 MIN_DOCS = 3
+#: Terms whose count among toxic texts is so many standard deviations from what chance gives are fitted first. All others join
+#: them afterwards, on the errors that are left and under a stronger decay: a term may tell only beside another, but hundreds of
+#: neutral ones in each text would otherwise learn the sample by heart.
 MIN_DEVIATION = 3.5
 EPOCHS = 20
 
@@ -64,9 +66,10 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
 
-def fit(docs: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.1, decay: float = 1e-4, balance: float = 0.5, seed: int = 7, batch: int = 256) -> Model:
-    """Log loss by AdaGrad on small batches; ``balance`` 1 gives both classes equal total weight, 0 each row. Without a row of
-    each class, the model knows only the labels' mean."""
+def fit(docs: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.1, decay: float = 1e-4, shrink: float = 1e-2, balance: float = 0.5, seed: int = 7, batch: int = 256) -> Model:
+    """Log loss by AdaGrad on small batches; ``balance`` 1 gives both classes equal total weight, 0 each row. ``epochs`` pass over
+    the terms that tell alone, as many again over all, with ``shrink`` as the others' decay. Without a row of each class, the model
+    knows only the labels' mean."""
     size = 1 << BITS
     share = float(labels.mean()) if len(labels) else 0.0
     model = Model(float(np.log((share + 1e-3) / (1 - share + 1e-3))), np.zeros(size, "f4"), np.zeros((size, RANK), "f4"))
@@ -75,38 +78,43 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate:
     rng = np.random.default_rng(seed)
     count = np.bincount(np.concatenate(docs), minlength=size)
     toxic = np.bincount(np.concatenate([d for d, y in zip(docs, labels, strict=True) if y == 1]), minlength=size)
-    seen = (count >= MIN_DOCS) & (np.abs(toxic - share * count) >= MIN_DEVIATION * np.sqrt(share * (1 - share) * count))
-    docs = [d[seen[d]] for d in docs]
-    used = np.flatnonzero(seen)
-    model.factors[used] = rng.normal(0, 0.02, (len(used), RANK))
-    w, v, b = model.weights, model.factors, 0.0
-    gw, gv, gb = np.full(size, 1e-2, "f4"), np.full((size, RANK), 1e-2, "f4"), 1e-2
+    used = np.flatnonzero(count >= MIN_DOCS)
+    count, toxic = count[used], toxic[used]
+    alone = np.abs(toxic - share * count) >= MIN_DEVIATION * np.sqrt(share * (1 - share) * count)
+    pull = np.where(alone, decay, shrink).astype("f4")
+    place = np.full(size, -1, "i4")
+    place[used] = np.arange(len(used))
+    docs = [p[p >= 0] for p in (place[d] for d in docs)]
+    w, v, b = np.zeros(len(used), "f4"), rng.normal(0, 0.02, (len(used), RANK)).astype("f4"), 0.0
+    gw, gv, gb = np.full(len(used), 1e-2, "f4"), np.full((len(used), RANK), 1e-2, "f4"), 1e-2
     value = (1 - balance) + balance * np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
-    for _ in range(epochs):
+    first = [d[alone[d]] for d in docs]
+    for epoch in range(2 * epochs):
+        now = first if epoch < epochs else docs
         order = rng.permutation(len(docs))
         for at in range(0, len(order), batch):
             rows = order[at : at + batch]
-            flat = np.concatenate([docs[i] for i in rows])
+            flat = np.concatenate([now[i] for i in rows])
             if not len(flat):
                 continue
-            of = np.repeat(np.arange(len(rows)), [len(docs[i]) for i in rows])
-            own, back = np.unique(flat, return_inverse=True)
+            of = np.repeat(np.arange(len(rows)), [len(now[i]) for i in rows])
+            own = np.flatnonzero(np.bincount(flat, minlength=len(used)))
             vi = v[flat]
             sums = np.stack([np.bincount(of, vi[:, k], len(rows)) for k in range(RANK)], 1)
             squares = np.bincount(of, (vi * vi).sum(1), len(rows))
             z = b + np.bincount(of, w[flat], len(rows)) + 0.5 * ((sums**2).sum(1) - squares)
             err = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels[rows]) * value[rows] / len(rows)
             e = err[of]
-            step = np.bincount(back, e) + decay * w[own]
+            step = np.bincount(flat, e, len(used))[own] + pull[own] * w[own]
             gw[own] += step**2
             w[own] -= rate * step / np.sqrt(gw[own])
             for k in range(RANK):
-                step = np.bincount(back, e * (sums[of, k] - vi[:, k])) + decay * v[own, k]
+                step = np.bincount(flat, e * (sums[of, k] - vi[:, k]), len(used))[own] + pull[own] * v[own, k]
                 gv[own, k] += step**2
                 v[own, k] -= rate * step / np.sqrt(gv[own, k])
             gb += err.sum() ** 2
             b -= rate * err.sum() / np.sqrt(gb)
-    model.bias = float(b)
+    model.bias, model.weights[used], model.factors[used] = float(b), w, v
     return model
 
 

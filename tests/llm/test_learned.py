@@ -161,6 +161,23 @@ def test_toxicity(spark):
     assert tx.score_toxicity(docs.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["xor", "mention"])
+def test_terms_that_tell_only_together(kind):
+    """Either of two terms, or a frequent mention beside a rare insult; the rest is noise."""
+    rng = np.random.default_rng(5)
+
+    def rows(n):
+        a = rng.random(n) < (0.5 if kind == "xor" else 0.1)
+        b = rng.random(n) < np.where(a & (kind == "mention"), 0.3, 0.5 if kind == "xor" else 0.04)
+        docs = [np.array([10] * int(x) + [20] * int(y) + sorted((100 + rng.choice(500, 12, False)).tolist()), "i4") for x, y in zip(a, b, strict=True)]
+        return docs, ((a ^ b) if kind == "xor" else (a & b)).astype("f8")
+
+    model = tx.fit(*rows(4000))
+    docs, want = rows(2000)
+    got = model.scores(docs) >= 0.5
+    assert (got == want).mean() > 0.98 and got[want == 1].mean() > 0.95
+
+
 def test_training_leaves_held_out_rows(spark):
     docs = spark.range(200).select(F.col("id").alias("doc_id"), F.lit("word").alias("text"))
     labels = spark.range(200).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic"))
