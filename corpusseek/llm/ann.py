@@ -151,7 +151,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, id_col
     candidates each. Other columns are ignored.
     """
     spark = vectors.sparkSession
-    python_ready(spark, 10_000)
+    python_ready(spark)
     fine = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col)))
     rows = fine.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), is_query.alias("q"))
     n = rows.agg(F.count("*").alias("all"), F.count_if("q").alias("q")).first()

@@ -19,19 +19,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def python_ready(spark: SparkSession, rows: int = 500) -> None:
-    """Workers can import this package; Arrow batches have at most ``rows`` rows and 16 MB, so that a worker holds little text."""
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def own(docs: DataFrame) -> list[Column]:
+    """All columns, also those whose names hold dots or backticks."""
+    return [F.col(quoted(c)) for c in docs.columns]
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column is called so in either case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def python_ready(spark: SparkSession) -> None:
+    """Workers can import this package; Arrow batches have at most 500 rows and 16 MB, so that a worker holds little text. The
+    sizes are the session's and the same for all operators, so that queries can be built in any order."""
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share, ``spark.checkpoint.dir``. A session on one machine without it gets a temporary
+    one; on a cluster that would split the data, so it is an error there."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.conf.get("corpusseek.shared.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="corpusseek-")
         spark.conf.set("corpusseek.shared.dir", path)
     return path.rstrip("/")
@@ -81,6 +103,7 @@ BROADCAST_IDS = 200_000
 
 def without(docs: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
     """``docs`` without the rows whose id is in ``dropped`` (column ``id``); rows with a null id stay."""
-    dropped = write_shared(dropped.select(F.col("id").alias("__id")), "dropped")
+    key = free_name(docs, "id")
+    dropped = write_shared(dropped.select(F.col("id").alias(key)), "dropped")
     small = dropped.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(dropped) if small else dropped, F.col(id_col) == F.col("__id"), "left_anti")
+    return docs.join(F.broadcast(dropped) if small else dropped, F.col(quoted(id_col)) == F.col(quoted(key)), "left_anti")

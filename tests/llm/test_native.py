@@ -60,12 +60,25 @@ def test_exact_dedup_empty(spark):
 
 
 def test_directory_splits(spark):
-    entries = spark.range(3000).select(F.xxhash64("id").alias("h"))
-    buckets = ed.grow_directory(entries, 100)
-    depth = ed.directory_depth(buckets)
-    assert sum(1 << (depth - d) for _, d in buckets) == 1 << depth  # every slot belongs to one bucket
-    counts = [r["count"] for r in ed.with_bucket(entries, buckets).groupBy("bucket").count().collect()]
-    assert sum(counts) == 3000 and max(counts) <= 100 and len(buckets) > 30
+    hashes = spark.range(3000).select(F.xxhash64("id").alias("h"))
+    directory, depth = ed.grow_directory(hashes, 3000, 100)
+    rows = directory.collect()
+    assert len({r["slot"] for r in rows}) == len(rows) <= 1 << depth  # every slot belongs to one bucket
+    counts = [r["count"] for r in ed.with_bucket(hashes, directory, depth).groupBy("bucket").count().collect()]
+    assert sum(counts) == 3000 and max(counts) <= 100 and len(counts) > 30 and len({r["bucket"] for r in rows}) == len(counts)
+    assert len(rows) > len(counts)  # some buckets have several slots
+
+
+def test_owners_decide(spark, monkeypatch):
+    """Texts with equal hashes meet in one chain, where bytes part them; hot ones arrive combined."""
+    monkeypatch.setattr(ed.F, "xxhash64", lambda *c: F.shiftleft(F.length(c[0]).cast("long"), 58))
+    monkeypatch.setattr(ed, "HOT_ROWS", 5)
+    rows = [(i, "same") for i in range(20)] + [(20 + i, f"tx{i:02d}") for i in range(10)] + [(40, "SAME"), (41, "long text"), (42, None)]
+    out = ed.exact_dedup(doc_rows(spark, rows), capacity=1)
+    got = out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    assert Counter(tuple(r) for r in got.collect()) == brute_exact(rows)
+    chains = out.where("length(text_sha256) > 0").groupBy("bucket").agg(F.countDistinct("chain").alias("n")).collect()
+    assert sorted(r["n"] for r in chains) == [1, 1, 11]
 
 
 @pytest.mark.parametrize("extra", [[], [(None, "abc"), (None, "zzz"), (None, "zzz"), (3, "other"), (3, "third"), (1, "abc")]])
