@@ -21,8 +21,10 @@ from .common import python_ready
 
 #: Fixed value: the byte-level pattern of this vocabulary's family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words whose ids a worker remembers (about 200 MB); then the memory is emptied.
-MEMO_WORDS = 1_000_000
+#: The bytes that a worker's memory of words and their ids may take; then it is emptied. Each word counts its own size and what
+#: the two objects and their place in the dictionary take.
+MEMO_SIZE = 192 << 20
+MEMO_ENTRY = 200
 #: Longer words aren't remembered.
 MEMO_BYTES = 64
 NONE = 1 << 62
@@ -36,15 +38,28 @@ def byte_chars() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+def vocabulary(path: str) -> tuple[dict, list[bytes], dict[str, int]]:
+    """The ``tokenizers`` JSON of a byte-level BPE; the bytes of each id; the special tokens and their ids."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    vocab: dict[str, int] = spec["model"]["vocab"]
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    back = {c: b for b, c in enumerate(byte_chars())}
+    out = [b""] * (1 + max([*vocab.values(), *special.values()]))
+    for token, i in vocab.items():
+        out[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
+    for token, i in special.items():
+        out[i] = token.encode()
+    return spec, out, special
+
+
 class Bpe:
-    """Loads the ``tokenizers`` JSON file of a byte-level BPE without normaliser."""
+    """Encodes and decodes by a byte-level BPE without normaliser."""
 
     def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec, self.bytes_of, self.special = vocabulary(path)
         vocab: dict[str, int] = spec["model"]["vocab"]
         chars = byte_chars()
-        back = {c: b for b, c in enumerate(chars)}
         self.first = [vocab[c] for c in chars]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
         # (left id, right id) -> rank, and rank -> merged id; a key of one int hashes faster than a tuple
@@ -53,15 +68,10 @@ class Bpe:
         for rank, (a, b) in enumerate(pairs):
             self.ranks[vocab[a] << 32 | vocab[b]] = rank
             self.merged.append(vocab[a + b])
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.bytes_of: list[bytes] = [b""] * (1 + max([*vocab.values(), *self.special.values()]))
-        for token, i in vocab.items():
-            self.bytes_of[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
-        for token, i in self.special.items():
-            self.bytes_of[i] = token.encode()
         self.words = regex.compile(PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.memo: dict[str, bytes] = {}
+        self.held = 0
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word."""
@@ -112,8 +122,10 @@ class Bpe:
         ids = self.merge(raw)
         out = struct.pack(f"<{len(ids)}I", *ids)
         if len(raw) <= MEMO_BYTES:
-            if len(self.memo) >= MEMO_WORDS:
+            self.held += MEMO_ENTRY + 4 * len(word) + len(out)
+            if self.held > MEMO_SIZE:
                 self.memo.clear()
+                self.held = 0
             self.memo[word] = out
         return out
 

@@ -14,7 +14,7 @@ from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .minhash import near_duplicates
 from .packing import pack
-from .secret_scan import scan_secrets
+from .secret_scan import ranked_words, scan_secrets
 from .sharding import SHARDS, TABLE_SIZE, assign_shards, fill_table
 from .toxicity import remainder, score_toxicity, train
 from .url_filter import Rule, url_filter
@@ -45,7 +45,8 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_secrets(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return scan_secrets(docs, words=ranked_words(docs, tokenizer_path()))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

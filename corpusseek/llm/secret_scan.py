@@ -2,6 +2,9 @@
 
 A value that stands after a credential's name is cut into words, dates, repeats, keyboard walks and brute-force spans by
 dynamic programming, so that the cost to guess it is least. Values that cost ``MIN_LOG_GUESSES`` or more are secrets.
+
+Words are ranked, and a word costs the logarithm of its rank. The list is made of common parts of passwords, of the corpus' own
+words by the number of documents that hold them, and of a public tokenizer's whole words, if its file is given.
 """
 
 from __future__ import annotations
@@ -13,8 +16,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import python_ready
+from .bpe import vocabulary
+from .common import python_ready, quoted, text_or_empty
 
 # The base patterns, shortest lengths and the order of kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -37,6 +42,9 @@ WORDS = (
     "love hello world house apple orange banana company service server client account public private string value none "
     "null true false undefined required optional your here enter name key api auth the and for with from this that"
 ).split()
+#: Words of the corpus that the model knows at most, with 24 letters at most, and in how many documents one has to be.
+CORPUS_WORDS = 50_000
+CORPUS_DOCS = 5
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba", "0987654321")
 LEET = str.maketrans("013457@$!", "oieastasi")
 DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:1[0-2]|0?[1-9])[-/._]?(?:3[01]|[12]\d|0?[1-9])|(?:3[01]|[12]\d|0?[1-9])[-/._]?(?:1[0-2]|0?[1-9])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
@@ -44,6 +52,8 @@ DATE_COST = math.log10(365 * 120)
 YEAR_COST = math.log10(120)
 #: Each further part of a cut makes the guess harder: its kind and length have to be found too.
 PART_COST = 1.0
+#: Signs that join words, as in names and placeholders.
+JOINERS = "-_./:"
 
 
 def _neighbours() -> set[str]:
@@ -57,12 +67,34 @@ def _neighbours() -> set[str]:
 NEXT = _neighbours()
 
 
+def corpus_words(docs: DataFrame, text_col: str = "text", most: int = CORPUS_WORDS, least_docs: int = CORPUS_DOCS) -> list[str]:
+    """The corpus' words of 3 to 24 letters, lower-cased, by falling number of rows that hold them: at most ``most``, each in at least
+    ``least_docs`` rows. Whole texts of all rows are counted; the counts are combined before the shuffle."""
+    words = F.array_distinct(F.split(F.lower(text_or_empty(F.col(quoted(text_col)))), r"[^\p{L}]+"))
+    each = docs.select(F.explode(words).alias("word")).where(F.char_length("word").between(3, 24))
+    counted = each.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs)
+    return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
+def tokenizer_words(path: str) -> list[str]:
+    """The whole words of a byte-level BPE's file, in the order of their ids, which is by frequency at about."""
+    _, tokens, _ = vocabulary(path)
+    found = (t[1:].decode("utf-8", "ignore") for t in tokens if t[:1] == b" " and len(t) > 3)
+    return [w for w in found if w.isalpha()]
+
+
+def ranked_words(docs: DataFrame, path: str | None = None, text_col: str = "text") -> list[str]:
+    """All words of the model, the commonest first; at most some 100,000, whatever the data."""
+    more = tokenizer_words(path) if path else []
+    return list(dict.fromkeys([*WORDS, *corpus_words(docs, text_col), *(w.lower() for w in more)]))
+
+
 class GuessCost:
     """log10 of the least number of guesses over all cuts of a value."""
 
     def __init__(self, words: list[str] | tuple[str, ...] = tuple(WORDS)) -> None:
         self.rank = {w.lower(): math.log10(i + 2) for i, w in reversed(list(enumerate(words)))}
-        self.longest = max(map(len, self.rank), default=0)
+        self.longest = max(map(len, self.rank), default=0)  # bounds the words tried at each place
 
     @staticmethod
     def per_char(c: str) -> float:
@@ -80,7 +112,10 @@ class GuessCost:
             for j in range(i + 3, min(n, i + self.longest) + 1):
                 for text, extra in ((low, 0.0), (plain, 0.5)):
                     if (r := self.rank.get(text[i:j])) is not None:
-                        put(i, j, r + extra + (0 if value[i:j] == low[i:j] else 0.5))
+                        cost = r + extra + (0 if value[i:j] == low[i:j] else 0.5)
+                        put(i, j, cost)
+                        if j < n and value[j] in JOINERS:  # the joiner shows where the word ends
+                            put(i, j + 1, max(0.0, cost - 0.5 * PART_COST))
                         break
         for i in range(n):
             if m := DATE.match(value, i):
@@ -184,9 +219,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repeat. Other columns are ignored. An empty table gives an empty result.
     """
     python_ready(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(list(words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = GuessCost(words)
+        model = GuessCost(sent.value)
         for b in batches:
             found = []
             for t in b.column(1):
@@ -200,20 +236,22 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in cols[:4]], *[pa.array(c, pa.string()) for c in cols[4:]]], [id_col, *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string")
+    return docs.select(quoted(id_col), quoted(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string")
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", words: list[str] | tuple[str, ...] = tuple(WORDS), least: float = MIN_LOG_GUESSES, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of its texts replaced by ``mark``; all columns stay, and so do null texts."""
     python_ready(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(list(words))
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = GuessCost(words)
+        model = GuessCost(sent.value)
         for b in batches:
             new = [t if t is None else redact(t, all_spans(t, model, least), mark) for t in b.column(at).to_pylist()]
             cols = list(b.columns)
             cols[at] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays(cols, b.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # mapInArrow takes no names with dots
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
