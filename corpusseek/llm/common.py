@@ -63,15 +63,15 @@ def shared_dir(spark: SparkSession) -> str:
 ROWS_PER_FILE = 250_000
 
 
-def write_shared(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+def write_shared(df: DataFrame, label: str, rows: int | None = None, per_file: int = ROWS_PER_FILE) -> DataFrame:
     """Writes ``df`` to the shared folder and returns a reader of it, which cuts the lineage.
 
     Files survive the loss of any executor; nothing is kept in executor memory. ``rows``, a bound of the table's rows, keeps a
-    small table from being written in many tiny files.
+    small table from being written in many tiny files; ``per_file`` is the bound of a file's rows, less where rows are texts.
     """
     spark = df.sparkSession
     if rows is not None:
-        df = df.coalesce(max(8, rows // ROWS_PER_FILE))
+        df = df.coalesce(max(8, rows // per_file))
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -5,8 +5,8 @@ weights miss, such as an insult next to the mention of a group. A text's terms a
 lower-cased) and their leading bytes, so that unseen words built on a known stem count too, hashed into 2^18 buckets, from
 the whole text.
 
-The model is fitted on the driver on at most ``TRAIN_DOCS`` labelled rows, those with the smallest hash of their id; it has a
-fixed size (about 5 MB), so it can be broadcast whatever the data. Scoring is one pass over the texts without a shuffle.
+The model is fitted on the driver on at most ``TRAIN_DOCS`` labelled documents and ``TRAIN_BYTES`` of their terms, those with the
+smallest hash of their id; it has a fixed size (about 5 MB), so it can be broadcast whatever the data. Scoring is one pass over the texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import python_ready
+from .common import python_ready, quoted, write_shared
 from .textops import LETTERS, words_by_text
 
 BITS = 18
@@ -29,13 +30,18 @@ RANK = 4
 PREFIXES = (4, 6)
 #: The bound of the training sample, in labelled rows.
 TRAIN_DOCS = 15_000
+#: And in bytes of their hashed terms, four each.
+TRAIN_BYTES = 64 << 20
 #: Terms in fewer documents of the sample get no weight.
 MIN_DOCS = 3
 #: Terms whose count among toxic texts is so many standard deviations from what chance gives are fitted first. All others join
 #: them afterwards, on the errors that are left and under a stronger decay: a term may tell only beside another, but hundreds of
 #: neutral ones in each text would otherwise learn the sample by heart.
 MIN_DEVIATION = 3.5
-EPOCHS = 20
+EPOCHS = 40
+SHRINK = 0.03
+#: Steps over all terms from which on a larger sample is passed over less often.
+STEPS = 600
 
 
 def terms(texts: list[bytes]) -> list[np.ndarray]:
@@ -66,55 +72,99 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
 
-def fit(docs: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.1, decay: float = 1e-4, shrink: float = 1e-2, balance: float = 0.5, seed: int = 7, batch: int = 256) -> Model:
+@dataclass
+class Batch:
+    """Rows of the sample with their terms in two orders: by row, and by term."""
+
+    labels: np.ndarray
+    value: np.ndarray
+    flat: np.ndarray  # terms, row after row
+    of: np.ndarray  # the row of each
+    starts: np.ndarray  # where rows with terms begin in ``flat``
+    full: np.ndarray  # the rows with terms
+    order: np.ndarray  # of ``flat`` by term
+    own: np.ndarray  # the distinct terms
+    heads: np.ndarray  # where each begins in ``order``
+
+
+def batches_of(docs: list[np.ndarray], labels: np.ndarray, value: np.ndarray, rows: np.ndarray, size: int) -> list[Batch]:
+    out = []
+    for at in range(0, len(rows), size):
+        now = rows[at : at + size]
+        count = np.array([len(docs[i]) for i in now])
+        flat = np.concatenate([docs[i] for i in now])
+        if not len(flat):
+            continue
+        order = np.argsort(flat, kind="stable").astype("i4")
+        heads = np.flatnonzero(np.diff(flat[order], prepend=-1))
+        full = np.flatnonzero(count)
+        of = np.repeat(np.arange(len(now), dtype="i4"), count)
+        out.append(Batch(labels[now], value[now], flat, of, (np.cumsum(count) - count)[full], full, order, flat[order][heads], heads))
+    return out
+
+
+def descend(batches: list[Batch], state: dict[str, np.ndarray], pull: np.ndarray, epochs: int, rate: float, rng: np.random.Generator) -> None:
+    """AdaGrad over the batches, in another order in each epoch, with steps that shrink to nothing at the end. ``state`` has bias b, weights w, factors v and their squared steps."""
+    w, v, gw, gv = (state[k] for k in ("w", "v", "gw", "gv"))
+    whole = rate
+    for epoch in range(epochs):
+        for done, i in enumerate(rng.permutation(len(batches))):
+            x, rate = batches[i], whole * (1 - (epoch + done / len(batches)) / epochs)
+            n, own = len(x.labels), x.own
+            z = np.zeros(n, "f4")
+            linear = w[x.flat]
+            mine, sums = [], []
+            for vk in v:  # a factor at a time: sums over runs of a flat array are much faster than over rows of a matrix
+                vi = vk[x.flat]
+                total = np.zeros(n, "f4")
+                total[x.full] = np.add.reduceat(vi, x.starts)
+                linear -= 0.5 * vi * vi
+                z += 0.5 * total * total
+                mine.append(vi)
+                sums.append(total)
+            z[x.full] += np.add.reduceat(linear, x.starts)
+            err = ((1 / (1 + np.exp(-np.clip(z + state["b"], -40, 40))) - x.labels) * x.value / n).astype("f4")
+            e, decay = err[x.of], pull[own]
+            step = np.add.reduceat(e[x.order], x.heads) + decay * w[own]
+            gw[own] += step**2
+            w[own] -= rate * step / np.sqrt(gw[own])
+            for vk, gk, vi, total in zip(v, gv, mine, sums, strict=True):
+                step = np.add.reduceat(((err * total)[x.of] - e * vi)[x.order], x.heads) + decay * vk[own]
+                gk[own] += step**2
+                vk[own] -= rate * step / np.sqrt(gk[own])
+            step = float(err.sum())
+            state["gb"] += step**2
+            state["b"] -= rate * step / np.sqrt(state["gb"])
+
+
+def fit(docs: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.1, decay: float = 1e-4, shrink: float = SHRINK, balance: float = 1.0, seed: int = 7, batch: int = 256, rank: int = RANK, steps: int = STEPS) -> Model:
     """Log loss by AdaGrad on small batches; ``balance`` 1 gives both classes equal total weight, 0 each row. ``epochs`` pass over
-    the terms that tell alone, as many again over all, with ``shrink`` as the others' decay. Without a row of each class, the model
-    knows only the labels' mean."""
+    the terms that tell alone; then as many, or at least ``steps`` steps, over all, with ``shrink`` as the others' decay. Without a row of each class, the model
+    knows only the labels' mean. ``rank`` 0 is a linear model."""
     size = 1 << BITS
     share = float(labels.mean()) if len(labels) else 0.0
-    model = Model(float(np.log((share + 1e-3) / (1 - share + 1e-3))), np.zeros(size, "f4"), np.zeros((size, RANK), "f4"))
+    model = Model(float(np.log((share + 1e-3) / (1 - share + 1e-3))), np.zeros(size, "f4"), np.zeros((size, rank), "f4"))
     if not 0 < share < 1:
         return model
     rng = np.random.default_rng(seed)
-    count = np.bincount(np.concatenate(docs), minlength=size)
-    toxic = np.bincount(np.concatenate([d for d, y in zip(docs, labels, strict=True) if y == 1]), minlength=size)
+    count, toxic = np.zeros(size, "i4"), np.zeros(size, "i4")
+    for d, y in zip(docs, labels, strict=True):  # a document's terms are distinct
+        count[d] += 1
+        toxic[d] += y == 1
     used = np.flatnonzero(count >= MIN_DOCS)
     count, toxic = count[used], toxic[used]
     alone = np.abs(toxic - share * count) >= MIN_DEVIATION * np.sqrt(share * (1 - share) * count)
-    pull = np.where(alone, decay, shrink).astype("f4")
     place = np.full(size, -1, "i4")
-    place[used] = np.arange(len(used))
+    place[used] = np.arange(len(used), dtype="i4")
     docs = [p[p >= 0] for p in (place[d] for d in docs)]
-    w, v, b = np.zeros(len(used), "f4"), rng.normal(0, 0.02, (len(used), RANK)).astype("f4"), 0.0
-    gw, gv, gb = np.full(len(used), 1e-2, "f4"), np.full((len(used), RANK), 1e-2, "f4"), 1e-2
     value = (1 - balance) + balance * np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
-    first = [d[alone[d]] for d in docs]
-    for epoch in range(2 * epochs):
-        now = first if epoch < epochs else docs
-        order = rng.permutation(len(docs))
-        for at in range(0, len(order), batch):
-            rows = order[at : at + batch]
-            flat = np.concatenate([now[i] for i in rows])
-            if not len(flat):
-                continue
-            of = np.repeat(np.arange(len(rows)), [len(now[i]) for i in rows])
-            own = np.flatnonzero(np.bincount(flat, minlength=len(used)))
-            vi = v[flat]
-            sums = np.stack([np.bincount(of, vi[:, k], len(rows)) for k in range(RANK)], 1)
-            squares = np.bincount(of, (vi * vi).sum(1), len(rows))
-            z = b + np.bincount(of, w[flat], len(rows)) + 0.5 * ((sums**2).sum(1) - squares)
-            err = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels[rows]) * value[rows] / len(rows)
-            e = err[of]
-            step = np.bincount(flat, e, len(used))[own] + pull[own] * w[own]
-            gw[own] += step**2
-            w[own] -= rate * step / np.sqrt(gw[own])
-            for k in range(RANK):
-                step = np.bincount(flat, e * (sums[of, k] - vi[:, k]), len(used))[own] + pull[own] * v[own, k]
-                gv[own, k] += step**2
-                v[own, k] -= rate * step / np.sqrt(gv[own, k])
-            gb += err.sum() ** 2
-            b -= rate * err.sum() / np.sqrt(gb)
-    model.bias, model.weights[used], model.factors[used] = float(b), w, v
+    state = {"w": np.zeros(len(used), "f4"), "v": rng.normal(0, 0.02, (rank, len(used))).astype("f4"), "gw": np.full(len(used), 1e-2, "f4"), "gv": np.full((rank, len(used)), 1e-2, "f4"), "b": 0.0, "gb": 1e-2}
+    rows = rng.permutation(len(docs))
+    descend(batches_of([d[alone[d]] for d in docs], labels, value, rows, batch), state, np.full(len(used), decay, "f4"), epochs, rate, rng)
+    every = batches_of(docs, labels, value, rows, batch)
+    del docs
+    descend(every, state, np.where(alone, decay, shrink).astype("f4"), min(epochs, 1 + steps // max(1, len(every))), rate, rng)
+    model.bias, model.weights[used], model.factors[used] = float(state["b"]), state["w"], state["v"].T
     return model
 
 
@@ -123,42 +173,55 @@ def remainder(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, bound: int) -> DataFrame:
-    """(label, terms) of at most ``bound`` labelled documents that aren't held out. Of several labels of one id the largest
-    counts; null ids and labels are left out."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, bound: int, most_bytes: int = TRAIN_BYTES) -> DataFrame:
+    """(label, terms) of at most ``bound`` labelled documents that aren't held out, with at most ``most_bytes`` of terms. Of several
+    labels of one id the largest counts, and of several rows the one with the least terms; null ids and labels are left out."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (remainder(F.col(id_col)) != 0))
     chosen = known.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label")).orderBy(F.xxhash64("id"), "id").limit(bound)
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = terms([t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([f.tobytes() for f in found], pa.binary())], ["label", "terms"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array([f.tobytes() for f in found], pa.binary())], ["id", "label", "terms"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(chosen), "id").select("label", "text").mapInArrow(run, "label int, terms binary")
+    found = texts.join(F.broadcast(chosen), "id").select("id", "label", "text").mapInArrow(run, f"id {kind}, label int, terms binary")
+    one = write_shared(found.groupBy("id", "label").agg(F.min("terms").alias("terms")).withColumn("place", F.xxhash64("id")), "toxic-sample", bound)
+    total, last = 0, None  # at most ``bound`` sizes
+    for r in one.select("place", F.octet_length("terms").alias("n")).orderBy("place", "id").toLocalIterator():
+        total += r["n"]
+        if total > most_bytes:
+            last = r["place"]
+            break
+    return (one if last is None else one.where(F.col("place") < last)).select("label", "terms")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bound: int = TRAIN_DOCS) -> Model:
     python_ready(docs.sparkSession)
     rows = labelled_sample(docs, labels, id_col, text_col, label_col, bound).collect()
     rows.sort(key=lambda r: (zlib.crc32(r["terms"]), r["label"]))  # the same model however the rows arrive
-    return fit([np.frombuffer(r["terms"], "i4") for r in rows], np.array([r["label"] for r in rows], "f8"))
+    sample, known = [np.frombuffer(r["terms"], "i4") for r in rows], np.array([r["label"] for r in rows], "f8")
+    del rows
+    return fit(sample, known)
 
 
-def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """One row per row of ``docs``: id (or all columns, if ``keep``) and ``score`` from 0 to 1, which replaces a column of this
+def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, score_col: str = "score") -> DataFrame:
+    """One row per row of ``docs``: id (or all columns, if ``keep``) and ``score_col`` from 0 to 1, which replaces a column of this
     name. Null text counts as empty; empty texts get the model's bias. Ids may be null or repeat."""
     spark = docs.sparkSession
     python_ready(spark)
     sent = spark.sparkContext.broadcast(model)
-    cols = [c for c in docs.columns if c != "score"] if keep else [id_col]
+    cols = [c for c in docs.columns if c != score_col] if keep else [id_col]
+    read = cols if text_col in cols else [*cols, text_col]  # a text goes to Python once
+    at = read.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t or b"" for t in b.column(b.num_columns - 1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(cols))], pa.array(sent.value.scores(terms(texts)))], [*cols, "score"])
-
-    from pyspark.sql.types import DoubleType, StructField, StructType
+            texts = [t or b"" for t in b.column(at).cast(pa.binary()).to_pylist()]
+            scores = sent.value.scores(terms(texts))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(cols)], pa.array(scores)], names)
 
-    schema = StructType([docs.schema[c] for c in cols] + [StructField("score", DoubleType())])
-    return docs.select(*cols, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    names = [f"c{i}" for i in range(len(cols) + 1)]  # mapInArrow takes no names with dots
+    schema = StructType([StructField(n, docs.schema[c].dataType) for n, c in zip(names, cols, strict=False)] + [StructField(names[-1], DoubleType())])
+    return docs.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(read)]).mapInArrow(run, schema).toDF(*cols, score_col)
