@@ -22,11 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe import PATTERN, Bpe, vocabulary
 from .common import python_ready, write_shared
 
 SIZE = 1024
-#: Base counts (one row a task and length) are broadcast up to this number, and joined by shuffle beyond.
-BROADCAST_ROWS = 1_000_000
+#: Base counts (one row a task and length, of about 200 bytes) are broadcast up to 16 MB, and joined by shuffle beyond.
+BROADCAST_ROWS = (16 << 20) // 200
 SHIFT = 42  # of a length, above a rank
 
 
@@ -131,25 +132,28 @@ def cut(n: int, size: int) -> list[tuple[int, int]]:
     return [(0, head)] + [(s, size) for s in range(head, n, size)] if n else []
 
 
+@lru_cache(maxsize=2)
+def own_encoder(path: str) -> Bpe:
+    return Bpe(path)
+
+
 @lru_cache(maxsize=2)
 def fast_encoder(path: str) -> Callable[[str], np.ndarray]:
-    """A compiled encoder with the ids of ``tokenizers`` for a byte-level BPE file; our own :class:`~.bpe.Bpe` where it gives up."""
+    """A compiled encoder with the ids of ``tokenizers`` for a byte-level BPE file. Where it panics, on extreme texts, our own
+    encoder takes over; it is built only then."""
     import tiktoken
 
-    from .bpe import PATTERN, Bpe
-
-    own = Bpe(path)
-    special = set(own.special.values())
-    ranks = {b: i for i, b in enumerate(own.bytes_of) if b and i not in special}
-    enc = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=own.special)
+    _, tokens, special = vocabulary(path)
+    fixed = set(special.values())
+    enc = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks={b: i for i, b in enumerate(tokens) if b and i not in fixed}, special_tokens=special)
 
     def encode(text: str) -> np.ndarray:
         try:
             return enc.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
-        except BaseException as e:  # a panic of the compiled code on extreme texts is no Exception
-            if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
+        except BaseException as e:
+            if type(e).__name__ != "PanicException":  # of the compiled code, which isn't an Exception and can't be imported
                 raise
-            return own.encode(text)
+            return own_encoder(path).encode(text)
 
     return encode
 
