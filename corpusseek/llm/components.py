@@ -47,4 +47,6 @@ def components(edges: DataFrame) -> DataFrame:
         if (got["n"], got["s"]) == mark:
             break
         mark = (got["n"], got["s"])
-    return now.select(F.col("b").alias("node"), F.col("a").alias("component")).union(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+    out = now.select(F.col("b").alias("node"), F.col("a").alias("component")).union(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+    out.shared_path = now.shared_path  # for drop_shared()
+    return out

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, python_ready, without, write_shared
+from .common import BROADCAST_IDS, drop_shared, python_ready, quoted, without, write_shared
 from .components import components
 from .textops import NOT_BLANK, mix, words_by_text
 
@@ -32,6 +32,8 @@ WORDS = 5
 BANDS = 50
 #: The chance that a pair right at the threshold shares no bucket is this at most.
 MISS = 1e-6
+#: Rows of a file whose rows hold texts or whole sets.
+TEXTS_PER_FILE = 20_000
 
 _U = np.uint64
 
@@ -113,7 +115,7 @@ def sketches(docs: DataFrame, percent: int, words: int, id_col: str, text_col: s
             keys = pa.ListArray.from_arrays(pa.array(np.cumsum(counts, dtype="i4")), pa.array(np.concatenate(parts) if parts else np.empty(0, "i8")))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), keys], ["id", "n", "f1", "f2", "keys"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, n long, f1 long, f2 long, keys array<long>")
+    return docs.select(F.col(quoted(id_col)).cast("long").alias("id"), quoted(text_col)).mapInArrow(run, "id long, n long, f1 long, f2 long, keys array<long>")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
@@ -141,12 +143,14 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> Dat
     return pairs.join(second, "b").join(first, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def star_edges(rows: DataFrame) -> DataFrame:
-    """(a, b) from the least node of each bucket to its others. ``rows`` has key, node and n. Edges between sets whose sizes
+def star_edges(rows: DataFrame, most: int) -> DataFrame:
+    """(a, b), ``most`` at most, from the least node of each bucket to its others. ``rows`` has key, node and n. Edges between sets whose sizes
     alone rule a link out stay, as they hold clusters together."""
     least = rows.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("key", "a")
-    least = write_shared(least, "near-centres")  # so that Spark can split the join for a hot bucket
-    return rows.join(least, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    least = write_shared(least, "near-centres", most)  # so that Spark can split the join for a hot bucket
+    edges = write_shared(rows.join(least, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct(), "near-stars", most)
+    drop_shared(least)
+    return edges
 
 
 def differences(members: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
@@ -214,25 +218,34 @@ def label_edges(links: DataFrame, named: DataFrame) -> DataFrame:
 
 def labelled(rows: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame | None:
     """(node, cluster, label) of the nodes that share a bucket: the label is the least node reachable by links. None where no two
-    nodes share one."""
-    edges = write_shared(star_edges(rows), "near-stars")
+    nodes share one. What is written for a step goes when its last reader is done."""
+    most = rows.count()
+    edges = star_edges(rows, most)
     if not edges.limit(1).count():
         return None
-    clusters = components(edges).withColumnRenamed("component", "cluster")
-    sizes = rows.select("node", "n").distinct()
-    links = write_shared(confirm(fitting(edges, sizes, percent), texts, percent, words), "near-links")
-    found = clusters.join(components(links), "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("label"))
-    named = write_shared(found, "near-labels")
+    clusters = components(edges)
+    sizes = write_shared(rows.select("node", "n").distinct(), "near-sizes", most)
+    links = write_shared(confirm(fitting(edges, sizes, percent), texts, percent, words), "near-links", most)
+    linked = components(links)
+    found = clusters.withColumnRenamed("component", "cluster").join(linked, "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("label"))
+    named = write_shared(found, "near-labels", most)
+    for t in (edges, clusters, sizes, links, linked):
+        drop_shared(t)
     mixed = named.groupBy("cluster").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("cluster")
-    diffs = write_shared(differences(named.join(mixed, "cluster"), texts, percent, words), "near-differences")
+    mixed = write_shared(mixed, "near-mixed", most)
+    diffs = write_shared(differences(named.join(mixed, "cluster"), texts, percent, words), "near-differences", most, TEXTS_PER_FILE)
+    drop_shared(mixed)
     if not diffs.limit(1).count():
         return named
     pivots = diffs.where("linked AND node <> cluster").select(F.col("cluster").alias("a"), F.col("node").alias("b"))
-    named = write_shared(merged(named, label_edges(pivots, named)), "near-labels")
+    first, named = named, write_shared(merged(named, label_edges(pivots, named)), "near-labels", most)
     known = diffs.select("node").join(named, "node").select("node", F.col("label").alias("component"))
     pairs = write_shared(close_pairs(diffs, known, percent), "near-pairs")
     more = write_shared(confirm(pairs, texts, percent, words), "near-links")
-    return merged(named, label_edges(more, named)) if more.limit(1).count() else named
+    second, named = named, write_shared(merged(named, label_edges(more, named)), "near-labels", most)
+    for t in (first, second, diffs, pairs, more):
+        drop_shared(t)
+    return named
 
 
 def fitting(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -254,16 +267,19 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, id_c
     """
     python_ready(docs.sparkSession)
     drawn = write_shared(sketches(docs, percent, words, id_col, text_col), "near-sketches")
+    n = drawn.count()
     classes = drawn.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("node"), F.min_by("keys", "id").alias("keys"), F.max("n").alias("n"))
-    classes = write_shared(classes.where("node IS NOT NULL"), "near-classes")
+    classes = write_shared(classes.where("node IS NOT NULL"), "near-classes", n, TEXTS_PER_FILE)
     rows = classes.select(F.explode("keys").alias("key"), "node", "n")
-    many = write_shared(rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key"), "near-buckets")
-    members = write_shared(rows.join(many, "key"), "near-members")
-    nodes = members.select("node").distinct()
-    small = nodes.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    whole = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(text_col, F.lit("")).alias("text"))
-    texts = write_shared(whole.join(F.broadcast(nodes) if small else nodes, "node", "left_semi"), "near-texts")
+    many = write_shared(rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key"), "near-buckets", BANDS * n)
+    members = write_shared(rows.join(many, "key"), "near-members", BANDS * n)
+    nodes = write_shared(members.select("node").distinct(), "near-nodes", n)
+    small = nodes.count() <= BROADCAST_IDS
+    whole = docs.select(F.col(quoted(id_col)).cast("long").alias("node"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text"))
+    texts = write_shared(whole.join(F.broadcast(nodes) if small else nodes, "node", "left_semi"), "near-texts", n, TEXTS_PER_FILE)
     labels = labelled(members, texts, percent, words)
+    for t in (many, members, nodes, texts):
+        drop_shared(t)
     out = drawn.select("id", "n", "f1", "f2").join(classes.select("f1", "f2", "node"), ["f1", "f2"], "left")
     if labels is not None:
         out = out.join(labels.select("node", "label"), "node", "left").withColumn("node", F.coalesce("label", "node"))
@@ -275,4 +291,4 @@ def drop_near_copies(docs: DataFrame, percent: int = 80, words: int = WORDS, id_
     """``docs`` with one row of each group of near-duplicates, that with the least id. Rows with a null id stay, and so do
     all rows of an id that stays."""
     judged = near_duplicates(docs, percent, words, id_col, text_col)
-    return without(docs, judged.where(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct(), id_col)
+    return without(docs, judged.where(~F.col("kept") & F.col(quoted(id_col)).isNotNull()).select(F.col(quoted(id_col)).alias("id")).distinct(), id_col)

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +93,30 @@ def test_scan_and_redact(spark):
     assert ss.redact("abcdef", [("hex", 0, 3), ("guess", 2, 4)]) == "[SECRET]ef"
 
 
+def test_plain_words_are_no_secrets(spark):
+    """Words of the corpus and of a public vocabulary after a credential's name, against random values."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    rng = random.Random(8)
+    parts = ["ver", "ant", "wort", "ung", "keit", "schaft", "über", "lich", "ge", "heim", "nis", "zu", "stand", "ig"]
+    native = sorted({"".join(rng.choice(parts) for _ in range(rng.randint(3, 5))) for _ in range(120)})[:100]
+    docs = spark.createDataFrame([(i, " ".join(w.title() if i % 2 else w for w in native[i % 7 :])) for i in range(12)], "doc_id long, text string")
+    english = [w for w in ss.tokenizer_words(public_tokenizers.path("byte_bpe_50k.json")) if len(w) >= 8 and w.isascii()]
+    plain = native + rng.sample(english, 60) + [f"{rng.choice(english[:500])}{j}{rng.choice(english[:500])}" for j in "_-. " for _ in range(10)]
+    alphabets = ["abcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijkmnpqrstuvwxyzABCDEFGH23456789#!%"]
+    secret = ["".join(rng.choice(alphabets[i % 4]) for _ in range(12 + i % 9)) for i in range(200)]
+    model = ss.GuessCost(ss.ranked_words(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    flagged = lambda values: sum(bool(ss.guess_spans(f"the {name}: {v} and so on", model)) for v, name in zip(values, ["secret", "token", "auth", "pwd"] * 50, strict=True))
+    assert len(plain) == len(secret) == 200
+    hits, wrong = flagged(secret), flagged(plain)
+    assert hits >= 190 and wrong <= 10 and hits / (hits + wrong) >= 0.95, (hits, wrong)
+
+
+def test_corpus_words(spark):
+    rows = [(1, "One two, TWO three"), (2, "two three\nab über"), (3, None), (None, "Über two " + "x" * 30), (4, "")]
+    assert ss.corpus_words(spark.createDataFrame(rows, "doc_id long, text string"), least_docs=2) == ["two", "three", "über"]
+    assert ss.corpus_words(spark.createDataFrame([], "doc_id long, text string")) == []
+
+
 # words
 
 
@@ -193,28 +218,38 @@ def test_chi_square():
     assert ann.chi_square_quantile(0.95, 8) == pytest.approx(15.507, abs=1e-3)
 
 
-@pytest.mark.parametrize(("block", "q"), [(100, 10), (10**6, 10**6)])
-def test_nearest_neighbours(spark, block, q):
+def test_kd_tree():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(4000, ann.DIMS)).astype("f4")
+    tree = ann.KdTree(x, 16)
+    counts = np.bincount(tree.place(x), minlength=16)
+    assert tree.cells == 16 and counts.sum() == 4000 and counts.max() <= 260 and counts.min() >= 240
+    assert ann.KdTree(np.zeros((50, ann.DIMS), "f4"), 8).cells == 1 and ann.KdTree(x[:0], 4).cells == 1
+
+
+@pytest.mark.parametrize("cell", [60, 10**6])
+def test_nearest_neighbours(spark, cell):
     rng = np.random.default_rng(3)
     centres = rng.normal(0, 4, (12, 24))
     x = (centres[rng.integers(0, 12, 900)] + rng.normal(0, 1, (900, 24))).astype("f4")
     x[100:160] = x[100]  # copies
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     odd = [(2000, None), (2010, [0.0] * 24), (2020, [float("nan")] + [1.0] * 23), (2030, [None] + [1.0] * 23), (2040, [float("inf")] * 24), (2050, []), (2060, [1.0, 2.0]), (None, x[0].tolist())]
-    df = spark.createDataFrame([(i, v, 0) for i, v in rows + odd], "vec_id long, embedding array<float>, rank int")
+    df = spark.createDataFrame([(i, v, 0, 1) for i, v in rows + odd], "vec_id long, embedding array<float>, rank int, `a.b` int")
     got = defaultdict(list)
-    for r in ann.nearest_neighbours(df, F.col("vec_id") % 20 == 0, 10, block_rows=block, query_rows=q).orderBy("query_id", "rank").collect():
+    for r in ann.nearest_neighbours(df, F.col("vec_id") % 20 == 0, 10, cell_rows=cell).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     assert set(got) == set(range(0, 900, 20))
     full, hits = x.astype("f8"), 0
     for i, found in got.items():
         d = np.sqrt(((full - full[i]) ** 2).sum(1))
         order = [j for j in np.lexsort((np.arange(900), d)).tolist() if j != i][:10]
+        assert len(found) == 10
         hits += len({v for v, _ in found} & set(order))
         assert all(s == pytest.approx(d[v], rel=1e-12) for v, s in found) and [s for _, s in found] == sorted(s for _, s in found)
         if i in (100, 120, 140):
             assert [v for v, _ in found] == [j for j in range(100, 112) if j != i][:10]
-    assert hits / (10 * len(got)) >= 0.98
+    assert hits / (10 * len(got)) >= 0.9
 
 
 def test_nearest_neighbours_few(spark):
@@ -224,6 +259,31 @@ def test_nearest_neighbours_few(spark):
     assert ann.nearest_neighbours(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_nearest_neighbours_repeated_ids(spark):
+    """Rows of one id are one candidate and one query."""
+    df = spark.createDataFrame([(5, [1.0, 2.0])] * 12 + [(9, [1.0, 2.0]), (7, [3.0, 2.0]), (7, [1.0, 5.0])], "vec_id long, embedding array<float>")
+    out = ann.nearest_neighbours(df, F.col("vec_id") == 5).collect()
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in out] == [(1, 9, 0.0), (2, 7, 3.0)]
+
+
+def test_nearest_neighbours_stop_early(spark):
+    """On clustered vectors: recall, and the share of all vectors that are verified."""
+    rng = np.random.default_rng(4)
+    n, dim = 100_000, 32
+    x = (rng.normal(0, 1, (400, dim))[rng.integers(0, 400, n)] + rng.normal(0, 0.5, (n, dim))).astype("f4")
+    df = spark.createDataFrame(pa.table({"id": np.arange(n), "vector": ann._lists(x)}))
+    asked = list(range(0, n, 2500))
+    ann.python_ready(spark)
+    found = defaultdict(set)
+    verified = Counter()
+    for r in ann.neighbours_by_class(df, df.where(F.col("id").isin(asked)), 11, n, ann.CELL_ROWS).collect():
+        found[r["query"]].add((r["score"], r["id"]))
+        verified[r["query"], r["verified"]] += 1
+    hits = sum(len({i for _, i in sorted(found[q])[:11]} & set(np.argsort(((x - x[q]) ** 2).sum(1))[:11].tolist())) for q in asked)
+    share = sum(c * v / min(11, max(1, v)) for (_, v), c in verified.items()) / (n * len(asked))
+    assert hits / (11 * len(asked)) >= 0.9 and share < 0.3, (hits / (11 * len(asked)), share)
+
+
 # near-duplicates
 
 
@@ -314,3 +374,50 @@ def test_components(spark):
     df = spark.createDataFrame([(b, a) if rng.random() < 0.5 else (a, b) for a, b in edges], "a long, b long")
     assert {r["node"]: r["component"] for r in components(df).collect()} == {x: find(x) for x in parent}
     assert components(df.limit(0)).count() == 0
+
+
+def test_score_is_the_sum_over_pairs():
+    """Scores against a plain sum over all pairs of terms."""
+    rng = np.random.default_rng(9)
+    size = 1 << tx.BITS
+    model = tx.Model(-0.3, rng.normal(0, 1, size).astype("f4"), rng.normal(0, 0.5, (size, tx.RANK)).astype("f4"))
+    docs = [rng.choice(size, n, replace=False).astype("i4") for n in (0, 1, 2, 7, 30)]
+    for d, s in zip(docs, model.scores(docs), strict=True):
+        z = model.bias + sum(float(model.weights[i]) for i in d) + sum(float(model.factors[i].astype("f8") @ model.factors[j].astype("f8")) for i, j in combinations(d.tolist(), 2))
+        assert s == pytest.approx(1 / (1 + math.exp(-max(-40.0, min(40.0, z)))), abs=1e-6)
+
+
+def test_pairs_beat_single_terms():
+    """The same fit without factors can't tell a xor b."""
+    rng = np.random.default_rng(6)
+
+    def rows(n):
+        a, b = rng.random(n) < 0.5, rng.random(n) < 0.5
+        return [np.array([10] * int(x) + [20] * int(y) + sorted((100 + rng.choice(500, 12, False)).tolist()), "i4") for x, y in zip(a, b, strict=True)], (a ^ b).astype("f8")
+
+    sample, (docs, want) = rows(4000), rows(2000)
+    right = {rank: float(((tx.fit(*sample, rank=rank).scores(docs) >= 0.5) == want).mean()) for rank in (0, tx.RANK)}
+    assert right[tx.RANK] >= 0.95 and right[0] < 0.8, right
+
+
+def test_training_sample_is_bounded(spark):
+    """One id on many rows counts once; terms are bounded in bytes."""
+    docs = spark.createDataFrame([(1, f"word{chr(97 + i)} more text") for i in range(20)] + [(i, "some words here") for i in range(2, 200)], "doc_id long, text string")
+    labels = spark.range(200).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic"))
+    sample = lambda *a: tx.labelled_sample(docs, labels, "doc_id", "text", "toxic", *a)
+    assert sample(10**6).count() == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(1, 200))
+    size = len(tx.terms([b"some words here"])[0]) * 4
+    assert 0 < sample(10**6, 10 * size).count() <= 10
+
+
+def test_names_with_dots(spark):
+    """Columns that clash with inner names, or can't stand unquoted, pass through."""
+    df = spark.createDataFrame([(1, "a b c d e f", 7, 8, 9), (2, "A b c d e f", 7, 8, 9), (3, None, 7, 8, 9)], "doc_id long, text string, `meta.src` int, __id int, score int")
+    model = tx.fit([np.array([1], "i4")], np.array([1.0]))
+    scored = tx.score_toxicity(df, model, keep=True, score_col="_score")
+    assert scored.columns == [*df.columns, "_score"] and scored.count() == 3
+    from corpusseek.llm.exact_dedup import drop_copies
+
+    for out in (drop_copies(df), minhash.drop_near_copies(df), ss.redact_secrets(df)):
+        assert out.columns == df.columns and {r["__id"] for r in out.collect()} == {8}
+    assert sorted(r["doc_id"] for r in drop_copies(df).collect()) == [2, 3]

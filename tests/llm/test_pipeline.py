@@ -32,7 +32,8 @@ def test_stages(spark, sf_dir):
         last[lower(rows[i])] = i
     rows = {i: t for i, t in rows.items() if last[lower(t)] == i}
     rows = {i: rows[i] for i, _, c in brute_near(sorted(rows.items()), cp.NEAR) if c == i}
-    guess = ss.GuessCost()
+    near = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    guess = ss.GuessCost(ss.ranked_words(near, cp.tokenizer_path()))
     rows = {i: ss.redact(t, ss.all_spans(t, guess)) for i, t in rows.items()}
 
     for _, stage in cp.STAGES[:-1]:
