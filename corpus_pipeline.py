@@ -11,12 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusseek.llm.common import table, write_shared
+from corpusseek.llm.common import free_name, own, table, write_shared
 from corpusseek.llm.exact_dedup import drop_copies
 from corpusseek.llm.minhash import drop_near_copies
 from corpusseek.llm.packing import pack
 from corpusseek.llm.queries import tokenizer_path
-from corpusseek.llm.secret_scan import redact_secrets
+from corpusseek.llm.secret_scan import ranked_words, redact_secrets
 from corpusseek.llm.toxicity import score_toxicity, train
 
 #: Documents with this score or more are rejected.
@@ -27,7 +27,8 @@ NEAR = 80
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = train(docs, table(spark, sf_dir, "labels"))
-    return score_toxicity(docs, model, keep=True).where(F.col("score") < TOXIC).select(docs.columns)
+    score = free_name(docs, "score")
+    return score_toxicity(docs, model, keep=True, score_col=score).where(F.col(score) < TOXIC).select(own(docs))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +43,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; its secrets are masked, and ``n_chars`` follows the text."""
-    out = redact_secrets(docs)
-    return out.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), "n_chars")).select(docs.columns)
+    out = redact_secrets(docs, words=ranked_words(docs, tokenizer_path()))
+    return out.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), "n_chars")).select(own(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
