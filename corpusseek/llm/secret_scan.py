@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import vocabulary
-from .common import python_ready, quoted, text_or_empty
+from .common import drop_shared, python_ready, quoted, text_or_empty, write_shared
 
 # The base patterns, shortest lengths and the order of kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -69,11 +69,23 @@ NEXT = _neighbours()
 
 def corpus_words(docs: DataFrame, text_col: str = "text", most: int = CORPUS_WORDS, least_docs: int = CORPUS_DOCS) -> list[str]:
     """The corpus' words of 3 to 24 letters, lower-cased, by falling number of rows that hold them: at most ``most``, each in at least
-    ``least_docs`` rows. Whole texts of all rows are counted; the counts are combined before the shuffle."""
+    ``least_docs`` rows. Whole texts of all rows are counted; the counts are combined before the shuffle.
+
+    Words go to the driver by classes of about equal counts (steps of 2^(1/8), some 500 of them), the commonest first, as long as
+    a class fits as a whole. So no more than ``most`` words ever travel."""
     words = F.array_distinct(F.split(F.lower(text_or_empty(F.col(quoted(text_col)))), r"[^\p{L}]+"))
     each = docs.select(F.explode(words).alias("word")).where(F.char_length("word").between(3, 24))
-    counted = each.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs)
-    return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
+    counted = write_shared(each.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs), "secret-words")
+    kind = F.floor(F.log2("n") * 8)
+    total, lowest = 0, None
+    for r in sorted(counted.groupBy(kind.alias("kind")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        total += r["n"]
+        if total > most:
+            break
+        lowest = r["kind"]
+    found = counted.where(kind >= lowest).collect() if lowest is not None else []
+    drop_shared(counted)
+    return [r["word"] for r in sorted(found, key=lambda r: (-r["n"], r["word"]))]
 
 
 def tokenizer_words(path: str) -> list[str]:

@@ -114,6 +114,7 @@ def test_plain_words_are_no_secrets(spark):
 def test_corpus_words(spark):
     rows = [(1, "One two, TWO three"), (2, "two three\nab über"), (3, None), (None, "Über two " + "x" * 30), (4, "")]
     assert ss.corpus_words(spark.createDataFrame(rows, "doc_id long, text string"), least_docs=2) == ["two", "three", "über"]
+    assert ss.corpus_words(spark.createDataFrame(rows, "doc_id long, text string"), most=2, least_docs=2) == ["two"]  # the next class has two words
     assert ss.corpus_words(spark.createDataFrame([], "doc_id long, text string")) == []
 
 
